@@ -1,0 +1,24 @@
+import numpy as np
+
+import __spark_entry__
+from loomkv.llm.near_copies import RADIUS, fingerprints, near_copies
+
+
+def test_every_pair_within_the_radius(spark):
+    """Against brute force over all rows; planted copies of a text with one word changed and exact ones are there."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = "the quick brown fox jumps over the lazy dog while nine old sailors count silver coins near an empty harbour wall at noon before rain comes in from the grey western sea and every gull turns home".split()
+    planted = [" ".join(words), " ".join(words), " ".join([*words[:10], "ten", *words[11:]]), "", "", "###", None]
+    docs = table.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(planted)], "doc_id long, text string"))
+    got = [tuple(r) for r in near_copies(docs).collect()]
+    ids = np.array([r.doc_id for r in docs.collect()])
+    fp = fingerprints(docs.toArrow()["text"])
+    distance = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64))
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j]), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= RADIUS)) if i < j}
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = {(a - 10**6, b - 10**6) for a, b, _ in got if a >= 10**6}
+    assert pairs == {(0, 1), (0, 2), (1, 2), (3, 4), (3, 6), (4, 6)}
+
+
+def test_registered():
+    assert "op9_near_copies" in __spark_entry__.queries()
