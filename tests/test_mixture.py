@@ -1,0 +1,27 @@
+import duckdb
+
+import __spark_entry__
+from loomkv.llm.mixture import epochs, mixture
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{DIR}/documents.parquet'")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op4_mixture"](spark, DIR).collect())
+    want = sorted(con.execute(__spark_entry__.oracle_sql()["op4_mixture"]).fetchall())
+    assert len(got) == 200 and got == want
+
+
+def test_level_fills_the_budget(spark):
+    sizes = {"a": 1_000_000, "b": 10_000, "c": 90_000, "d": 400, "e": 0}
+    got = {r.lang: r.epochs for r in epochs(spark.createDataFrame(list(sizes.items()), "lang string, n long")).collect()}
+    assert "e" not in got and got["b"] == got["d"] == got["c"] == 2 and max(got.values()) <= 2
+    assert abs(sum(got[k] * sizes[k] for k in got) - sum(sizes.values())) < 2
+
+
+def test_every_row_stays(spark):
+    rows = [(1, "x y", "en"), (2, None, "en"), (3, "", None), (4, "z", None)]
+    got = {r.doc_id: r.words for r in mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: 2, 2: 0, 3: 0, 4: 1}

@@ -1,0 +1,29 @@
+import duckdb
+import numpy as np
+
+import __spark_entry__
+from loomkv.llm.nearest import top_k
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_bounds_never_lose_a_neighbour():
+    rng = np.random.default_rng(1)
+    for dims, scale in ((64, 0.05), (64, 3.0), (5, 1.0)):
+        x = rng.normal(size=(40, dims))[rng.integers(0, 40, 700)] + scale * rng.normal(size=(700, dims))
+        x[5] = x[600]
+        ids = rng.permutation(700)
+        a, b, d = top_k(ids, x, ids, x)
+        full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        np.fill_diagonal(full, np.inf)
+        got = dict(zip(zip(a.tolist(), b.tolist()), d))
+        want = {(int(ids[i]), int(ids[j])) for i in range(700) for j in np.lexsort((ids, full[i]))[:10]}
+        assert set(got) == want
+
+
+def test_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{DIR}/embeddings.parquet'")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op2_nearest"](spark, DIR).collect())
+    want = sorted(con.execute(__spark_entry__.oracle_sql()["op2_nearest"]).fetchall())
+    assert len(got) == 5000 and got == want
