@@ -1,0 +1,27 @@
+import numpy as np
+
+import __spark_entry__
+from loomkv.llm.toxicity import _forward, toxicity
+
+
+def test_scores_are_those_of_all_pairs():
+    """The linear-time form against the sum over all pairs of features."""
+    rng = np.random.default_rng(3)
+    w, v = rng.normal(size=6), rng.normal(size=(6, 4))
+    z, _ = _forward(np.array([0, 0, 0, 2, 2]), np.array([1, 3, 5, 0, 2]), 3, 0.5, w, v)
+    pairs = lambda xs: 0.5 + sum(w[x] for x in xs) + sum(v[x] @ v[y] for x in xs for y in xs if x < y)
+    assert np.allclose(z, [pairs([1, 3, 5]), 0.5, pairs([0, 2])])
+
+
+def test_planted_documents(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    long = "the er onthe with " * 5000
+    planted = [(10**6, "Onthe er, you idiot moron! Trash of the worthless."), (10**6 + 1, long + "idiot. Worthless, pathetic clown"), (10**6 + 2, long), (10**6 + 3, ""), (10**6 + 4, None)]
+    got = {r.doc_id: r.toxic for r in toxicity(docs.union(spark.createDataFrame(planted, docs.schema)), spark.read.parquet(f"{path}/labels.parquet")).collect()}
+    assert len(got) == docs.count() + 5
+    assert [got[10**6 + i] for i in range(5)] == [1, 1, 0, 0, 0]
+
+
+def test_registered():
+    assert "op5_toxicity" in __spark_entry__.queries()
