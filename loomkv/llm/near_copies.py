@@ -1,9 +1,11 @@
-"""op9: pairs of near copies, by SimHash and meet-in-the-middle ball hashing.
-
-A fingerprint has 64 bits: the signs of the sum, over a text's distinct words, of square-root counts
-times the words' hash bits. Two fingerprints within RADIUS = 8 bits differ by at most two in one of
-three blocks; there the balls of radius one around the two meet in a middle, so every such pair is
-found by joining 67 keys of each fingerprint. No bucket is capped.
+"""op9: classes of near copies, by SimHash and meet-in-the-middle ball hashing.
+
+A fingerprint has two halves of 64 bits: the signs of the sum, over a text's distinct words, of
+square-root counts times bits of two hashes of the word. Words are runs of letters and digits in lower
+case. Texts are linked if one of the halves differs in at most RADIUS bits and both together in at most
+MOST. Halves within RADIUS = 8 bits differ by at most two in one of three blocks; there the balls of
+radius one around the two meet in a middle, so every such pair is found by joining the 67 keys of each.
+Colliding pairs are verified against the whole fingerprints. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -13,25 +15,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import text as T
+from loomkv.llm.shared import checkpointed
 
 RADIUS = 8
+MOST = 18
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+SLICE = 1 << 22
+
+
+def _signs(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    sums = np.zeros((n, 64), dtype=np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        signed = (bits.astype(np.int32) * 2 - 1) * weights[k : k + CHUNK, None]
+        heads = np.flatnonzero(np.append(True, rows[k : k + CHUNK][1:] != rows[k : k + CHUNK][:-1]))
+        sums[rows[k : k + CHUNK][heads]] += np.add.reduceat(signed, heads, axis=0)
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().astype(T.U64)
 
 
 def fingerprints(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """One signed 64-bit fingerprint a row; a text without any word gets the hash of its bytes."""
+    """Both halves, signed, of each row; a text without any word (null is the empty text) gets hashes of its bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
-    out = np.zeros(len(column), dtype=T.U64)
-    for (lo, hi, data, offsets), (_, _, raw, raw_offsets) in zip(T.slices(pc.utf8_lower(column), 1 << 40), T.slices(column, 1 << 40)):
+    out = np.zeros((len(column), 2), dtype=T.U64)
+    for lo, hi, _, _ in T.slices(column, SLICE):
+        part = column.slice(lo, hi - lo)
+        (_, _, raw, raw_offsets), (_, _, data, offsets) = next(T.slices(part, 1 << 60)), next(T.slices(pc.utf8_lower(part), 1 << 60))
         data = PLAIN[data]
         starts, ends, first = T.words(data, offsets)
         counts = np.diff(first)
@@ -42,49 +59,86 @@ def fingerprints(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
         at = np.flatnonzero(new)
-        weights = np.sqrt(np.diff(np.append(at, len(rows)))).astype(np.float32)
+        weights = np.rint(256 * np.sqrt(np.diff(np.append(at, len(rows))))).astype(np.int32)
         hashes, rows = hashes[at], rows[at]
-        sums = np.zeros((hi - lo, 64), dtype=np.float32)
-        for k in range(0, len(at), CHUNK):
-            part = hashes[k : k + CHUNK]
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            signed = (bits.astype(np.float32) * 2 - 1) * weights[k : k + CHUNK, None]
-            heads = np.flatnonzero(np.append(True, rows[k : k + CHUNK][1:] != rows[k : k + CHUNK][:-1]))
-            sums[rows[k : k + CHUNK][heads]] += np.add.reduceat(signed, heads, axis=0)
-        fp = np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().astype(T.U64)
         bare = np.flatnonzero(counts == 0)
-        if len(bare):
-            fp[bare] = T.word_hashes(raw, raw_offsets[bare], raw_offsets[bare + 1])
-        out[lo:hi] = fp
+        whole = T.word_hashes(raw, raw_offsets[bare], raw_offsets[bare + 1])
+        for half in range(2):
+            fp = _signs(hashes, rows, weights, hi - lo)
+            fp[bare] = whole
+            out[lo:hi, half] = fp
+            hashes, whole = T.mix(hashes + T.U64(0x9E3779B97F4A7C15)), T.mix(whole + T.U64(0x9E3779B97F4A7C15))
     return out.view(np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(1).cast(pa.large_string())
-        for lo, hi, _, _ in T.slices(column, 1 << 22):
-            yield pa.record_batch({"doc_id": batch.column(0).slice(lo, hi - lo), "fp": pa.array(fingerprints(column.slice(lo, hi - lo)))})
+        fp = fingerprints(batch.column(1))
+        yield pa.record_batch({"doc_id": batch.column(0), "f": pa.array(fp[:, 0]), "g": pa.array(fp[:, 1])})
+
+
+def _canonical(x: Column, own: Column, key: Column, half: int) -> Column:
+    """Whether key is the one, of those that two fingerprints share in this half, that stands for the pair: in the first block
+    that is near enough, the first one's own block changed in the lowest of two differing bits."""
+    parts = [F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS]
+    near = [F.bit_count(p) <= 2 for p in parts]
+    block = F.when(near[0], 0).when(near[1], 1).otherwise(2)
+    part = F.when(near[0], parts[0]).when(near[1], parts[1]).otherwise(parts[2])
+    mine = F.when(near[0], F.shiftrightunsigned(own, 0).bitwiseAND(F.lit((1 << 22) - 1))).when(near[1], F.shiftrightunsigned(own, 22).bitwiseAND(F.lit((1 << 21) - 1))).otherwise(F.shiftrightunsigned(own, 43).bitwiseAND(F.lit((1 << 21) - 1)))
+    low = F.when(F.bit_count(part) == 2, part.bitwiseAND(-part)).otherwise(F.lit(0))
+    return key == mine.bitwiseXOR(low).bitwiseOR(F.shiftleft((block + 3 * half).cast("long"), 40))
 
 
-def pairs_within(fps: DataFrame) -> DataFrame:
-    """(fa, fb, distance) for all pairs fa < fb of the distinct values of fps.fp within RADIUS bits."""
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b): every linked pair, once and a < b, of the rows (c, f, g) of classes; no two rows have both halves equal."""
     keys = []
-    for b, (shift, width) in enumerate(BLOCKS):
-        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(b << 40))
-        keys += [part, *(part.bitwiseXOR(F.lit(1 << i)) for i in range(width))]
-    ball = fps.select("fp").distinct().select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
-    a, b = ball.select("key", F.col("fp").alias("fa")), ball.select("key", F.col("fp").alias("fb"))
-    distance = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    return a.join(b, "key").where((F.col("fa") < F.col("fb")) & (distance <= RADIUS)).select("fa", "fb", distance.cast("int").alias("distance")).distinct()
+    for half, name in enumerate(("f", "g")):
+        for b, (shift, width) in enumerate(BLOCKS):
+            part = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit((b + 3 * half) << 40))
+            keys += [part, *(part.bitwiseXOR(F.lit(1 << i)) for i in range(width))]
+    ball = classes.select("c", "f", "g", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    a, b = ball.select("key", F.col("c").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), ball.select("key", F.col("c").alias("b"), F.col("f").alias("fb"), F.col("g").alias("gb"))
+    x, y = F.col("fa").bitwiseXOR(F.col("fb")), F.col("ga").bitwiseXOR(F.col("gb"))
+    df, dg = F.bit_count(x), F.bit_count(y)
+    key = F.col("key")
+    first = F.when(df <= RADIUS, _canonical(x, F.col("fa"), key, 0)).otherwise(_canonical(y, F.col("ga"), key, 1))
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & first).select("a", "b")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(c, class_id) of every number in the pairs (a, b): the smallest number that it is joined to by a chain of pairs.
+
+    Labels fall to the smallest of the neighbours' and then to their label's label, until none changes."""
+    both = pairs.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("d")))
+    labels = checkpointed(both.groupBy("c").agg(F.least("c", F.min("d")).alias("l")))
+    while True:
+        near = both.join(labels.select(F.col("c").alias("d"), "l"), "d").groupBy("c").agg(F.min("l").alias("m"))
+        fell = labels.join(near, "c").select("c", F.least("l", "m").alias("m"), F.col("l").alias("old"))
+        up = labels.select(F.col("c").alias("m"), F.col("l").alias("up"))
+        jumped = checkpointed(fell.join(up, "m").select("c", F.least("m", "up").alias("l"), "old"))
+        labels = jumped.select("c", "l")
+        if jumped.where("l <> old").isEmpty():
+            return labels.withColumnRenamed("l", "class_id")
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, distance), doc_a < doc_b: every pair of rows whose fingerprints are within RADIUS bits."""
-    fps = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows, "doc_id long, fp long").persist()
-    same = fps.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).alias("distance"))
-    near = pairs_within(fps).unionByName(same)
-    a, b = fps.select(F.col("doc_id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("doc_id").alias("b"), F.col("fp").alias("fb"))
-    return near.join(a, "fa").join(b, "fb").where((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "distance")
+    """(doc_id, class_id, links), one row for every row of documents.
+
+    Rows of equal fingerprints are copies of one text; links counts the other texts that this one is
+    linked to, and class_id is the smallest doc_id that a chain of links or copies leads to. A row alone
+    has its own doc_id and links 0. Null and empty texts are copies of each other; a text without letters
+    and digits is a copy only of the same bytes. A null doc_id stays null and is no class_id unless all
+    of its class are null. Repeated rows stay. Other columns are neither read nor returned.
+    """
+    # DISK_ONLY: three later stages read these 24 bytes a row; a lost executor's part is computed again.
+    from pyspark import StorageLevel
+
+    fps = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows, "doc_id long, f long, g long").persist(StorageLevel.DISK_ONLY)
+    classes = fps.groupBy("f", "g").agg(F.min("doc_id").alias("c"))
+    pairs = checkpointed(links(classes.where("c is not null")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
+    found = classes.join(ends.join(components(pairs), "c"), "c", "left").select("f", "g", F.coalesce("class_id", "c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return fps.join(found, ["f", "g"]).select("doc_id", "class_id", "links")
 
 
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,40 +1,27 @@
 """Vectorised text primitives over Arrow string columns, shared by the operators.
 
 A slice of rows is one contiguous byte buffer with row offsets; words are maximal runs of bytes that
-are not ASCII white space, and never cross a row. Hashes are polynomial over prefix sums modulo 2**64,
-so the hash of any range costs two look-ups.
+are not ASCII white space, and never cross a row. Words are hashed eight bytes at a time by a chain of
+bijective mixes, so that no polynomial identity (as the Thue-Morse words have) makes two of them equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-Q = U64(0x9E3779B97F4A7C15)
-QINV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept per process."""
-    key = int(base)
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.ones(size, dtype=U64)
-        np.multiply.accumulate(np.full(size - 1, base, dtype=U64), out=have[1:])
-        if size <= 1 << 22:
-            _POWERS[key] = have
-    return have[:n]
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+LONG = 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finalise: every input bit reaches every output bit."""
+    """Finalise: every input bit reaches every output bit; a bijection."""
     h = h ^ (h >> U64(32))
     h = h * U64(0xD6E8FEB86659FD93)
     h = h ^ (h >> U64(29))
@@ -42,18 +29,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which range_hash() takes the hash of any range of values."""
-    out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values.astype(U64, copy=False) * powers(Q, len(values)), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of values[lo:hi]; equal ranges hash equally wherever they stand."""
-    return (prefix[hi] - prefix[lo]) * powers(QINV, len(prefix))[lo]
-
-
 def slices(column: pa.Array | pa.ChunkedArray, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) over runs of rows of about `target` bytes; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,6 +65,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, zeros past the end, as one little-endian number each."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return mix(range_hash(prefix_hash(data + U64(1)), starts, ends) + (ends - starts).astype(U64))
+    """A 64-bit hash of each word's bytes; words of over LONG bytes by BLAKE2."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    eight, n = lanes(data), ends - starts
+    h = mix((eight[starts] & MASKS[np.minimum(n, 8)]) ^ (n.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    at, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] * U64(0x9E3779B97F4A7C15) + (eight[starts[at] + done] & MASKS[np.minimum(n[at] - done, 8)]))
+        done += 8
+        at = at[n[at] > done]
+    for k in np.flatnonzero(n > LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + counts, counts)
