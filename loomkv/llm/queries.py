@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkv.llm import language, mixture, near_copies, nearest, toxicity
+from loomkv.llm import bpe, language, mixture, near_copies, nearest, toxicity
 
-QUERIES = {f.__name__: f for f in (nearest.op2_nearest, mixture.op4_mixture, toxicity.op5_toxicity, language.op8_language, near_copies.op9_near_copies)}
+QUERIES = {f.__name__: f for f in (nearest.op2_nearest, mixture.op4_mixture, toxicity.op5_toxicity, bpe.op6_bpe, language.op8_language, near_copies.op9_near_copies)}
 ORACLE = {"op2_nearest": nearest.ORACLE, "op4_mixture": mixture.ORACLE}
