@@ -1,7 +1,12 @@
-"""op5: toxicity of every document, by a factorization machine over its distinct words.
+"""op5: toxicity of every document, by a factorization machine over its distinct hashed words.
 
-Training takes at most TRAIN_ROWS labelled rows, those of the lowest hash of doc_id, and of their
-words those in MIN_DOCS of them or more whose toxic share is LEAST_Z standard deviations off the mean's. Every document is scored over its whole text.
+Beside a weight each word has FACTORS factors, and every pair of words of a text adds the product of
+theirs: so an insult together with a group that it is aimed at can weigh more than the two alone.
+
+Training takes at most TRAIN_ROWS labelled documents, those of the lowest hash of doc_id, and of their words
+those in MIN_DOCS of them or more whose toxic share is LEAST_Z standard deviations off the mean's, the
+MOST_WORDS farthest off. The counts are taken by the workers, and only chosen words are collected: that
+bounds the model that is sent to them. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -16,13 +21,17 @@ from pyspark.sql import functions as F
 
 from loomkv.llm import text as T
 from loomkv.llm.near_copies import PLAIN
+from loomkv.llm.shared import checkpointed
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 8000
+LEAST = 0.4
 MIN_DOCS = 4
 LEAST_Z = 4.0
+MOST_WORDS = 50_000
 FACTORS = 4
 EPOCHS = 150
 RATE = 0.1
+FACTOR_RATE = 0.01
 L2 = 1e-4
 
 
@@ -49,31 +58,29 @@ def _forward(rows: np.ndarray, at: np.ndarray, n: int, w0: float, w: np.ndarray,
     return w0 + np.bincount(rows, w[at], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def train(column: pa.Array | pa.ChunkedArray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """(sorted word hashes, bias, weights, factors) by full-batch Adagrad on the logistic loss."""
+def fit(vocabulary: np.ndarray, rows: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """(sorted word hashes, bias, weights, factors) by full-batch Adagrad on the logistic loss; text rows[k] has word vocabulary[at[k]]."""
     n = len(y)
-    rows, hashes = features(column)
-    vocabulary, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    share = y.mean()
-    z = (np.bincount(at, y[rows], len(vocabulary)) - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
-    keep = (counts >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
-    rows, at = rows[keep[at]], (np.cumsum(keep) - 1)[at][keep[at]]
-    vocabulary = vocabulary[keep]
     w0, w = 0.0, np.zeros(len(vocabulary))
     v = np.random.default_rng(42).normal(0, 0.01, (len(vocabulary), FACTORS))
     g0, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
     for _ in range(EPOCHS):
         z, sums = _forward(rows, at, n, w0, w, v)
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        d0, dw = e.sum(), np.bincount(at, e[rows], len(w)) + L2 * w
-        dv = np.stack([np.bincount(at, e[rows] * (sums[rows, f] - v[at, f]), len(w)) for f in range(FACTORS)], axis=1) + L2 * v
+        d0, dw, dv = gradient(rows, at, e, sums, w, v)
         g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
         w0 -= RATE * d0 / np.sqrt(g0)
         w -= RATE * dw / np.sqrt(gw)
-        v -= 0.1 * RATE * dv / np.sqrt(gv)
+        v -= FACTOR_RATE * dv / np.sqrt(gv)
     return vocabulary, w0, w, v
 
 
+def gradient(rows: np.ndarray, at: np.ndarray, e: np.ndarray, sums: np.ndarray, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """By bias, weights and factors, of errors e of the rows, with the penalty L2."""
+    dv = np.stack([np.bincount(at, e[rows] * (sums[rows, f] - v[at, f]), len(w)) for f in range(v.shape[1])], axis=1)
+    return e.sum(), np.bincount(at, e[rows], len(w)) + L2 * w, dv + L2 * v
+
+
 def score(column: pa.Array | pa.ChunkedArray, model: tuple[np.ndarray, float, np.ndarray, np.ndarray]) -> np.ndarray:
     vocabulary, w0, w, v = model
     rows, hashes = features(column)
@@ -85,21 +92,45 @@ def score(column: pa.Array | pa.ChunkedArray, model: tuple[np.ndarray, float, np
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, toxic), one row for every document."""
-    chosen = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
-    if not sample.num_rows:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, hashes = features(pc.fill_null(batch.column(2), ""))
+        at = pa.array(rows)
+        yield pa.record_batch({"doc_id": batch.column(0).take(at), "toxic": batch.column(1).take(at), "h": pa.array(hashes.view(np.int64))})
+
+
+def trained(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    chosen = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
+    chosen = checkpointed(chosen)  # TRAIN_ROWS small rows at most: the bound of both broadcasts
+    y = chosen.join(documents.select(F.col("doc_id").cast("long").alias("id")).join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "left_semi").orderBy("id").toPandas()
+    if not len(y):
         raise ValueError("no labelled document to train on")
-    model = train(sample["text"].combine_chunks(), sample["toxic"].to_numpy().astype(float))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    n, share = len(y), float(y["toxic"].mean())
+    words = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, h long").distinct()
+    words = checkpointed(words)
+    z = (F.sum("toxic") - F.count("*") * share) / F.sqrt(F.greatest(F.count("*") * share * (1 - share), F.lit(1e-9)))
+    telling = words.groupBy("h").agg(F.count("*").alias("n"), F.abs(z).alias("z")).where((F.col("n") >= MIN_DOCS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "h").limit(MOST_WORDS)
+    found = words.join(telling.select("h"), "h").select("doc_id", "h").orderBy("doc_id", "h").toPandas()
+    vocabulary, at = np.unique(found["h"].to_numpy().view(np.uint64), return_inverse=True)
+    return fit(vocabulary, np.searchsorted(y["id"].to_numpy(), found["doc_id"].to_numpy()), at, y["toxic"].to_numpy().astype(float))
+
+
+def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score, toxic), one row for every row of documents, whole texts.
+
+    labels is (doc_id, toxic); of several labels of one doc_id the largest counts, nulls do not, and
+    ValueError is raised if no document has one. Rows of one doc_id train as one text. A null text scores as
+    the empty one, a null doc_id stays null, repeated rows stay. toxic is 1 from a score of LEAST on. Other columns are
+    neither read nor returned.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = score(pc.fill_null(batch.column(1), ""), sent.value)
-            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(np.round(p, 6)), "toxic": pa.array((p >= 0.5).astype(np.int32))})
+            yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(np.round(p, 6)), "toxic": pa.array((p >= LEAST).astype(np.int32))})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, score double, toxic int")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double, toxic int")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
