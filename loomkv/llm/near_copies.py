@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import text as T
-from loomkv.llm.shared import checkpointed
+from loomkv.llm.shared import checkpointed, partitions
 
 RADIUS = 8
 MOST = 18
@@ -27,6 +27,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 CHUNK = 1 << 15
+#: Times the usual number of partitions for the balls, as each fingerprint becomes 134 rows.
+GROWTH = 8
 SLICE = 1 << 22
 
 
@@ -96,13 +98,18 @@ def links(classes: DataFrame) -> DataFrame:
         for b, (shift, width) in enumerate(BLOCKS):
             part = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit((b + 3 * half) << 40))
             keys += [part, *(part.bitwiseXOR(F.lit(1 << i)) for i in range(width))]
-    ball = classes.select("c", "f", "g", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
-    a, b = ball.select("key", F.col("c").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), ball.select("key", F.col("c").alias("b"), F.col("f").alias("fb"), F.col("g").alias("gb"))
+    ball = classes.select("f", "g", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    a, b = ball.select("key", F.col("f").alias("fa"), F.col("g").alias("ga")), ball.select("key", F.col("f").alias("fb"), F.col("g").alias("gb"))
     x, y = F.col("fa").bitwiseXOR(F.col("fb")), F.col("ga").bitwiseXOR(F.col("gb"))
     df, dg = F.bit_count(x), F.bit_count(y)
     key = F.col("key")
     first = F.when(df <= RADIUS, _canonical(x, F.col("fa"), key, 0)).otherwise(_canonical(y, F.col("ga"), key, 1))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & first).select("a", "b")
+    less = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("ga") < F.col("gb")))
+    found = a.join(b, "key").where((df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & less & first).drop("key")
+    with partitions(classes.sparkSession, GROWTH):
+        found = checkpointed(found)
+    ca, cb = (classes.select(F.col("c").alias(f"c{z}"), F.col("f").alias(f"f{z}"), F.col("g").alias(f"g{z}")) for z in "ab")
+    return found.join(ca, ["fa", "ga"]).join(cb, ["fb", "gb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -134,7 +141,9 @@ def near_copies(documents: DataFrame) -> DataFrame:
     from pyspark import StorageLevel
 
     fps = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows, "doc_id long, f long, g long").persist(StorageLevel.DISK_ONLY)
-    classes = fps.groupBy("f", "g").agg(F.min("doc_id").alias("c"))
+    # Spread and cut here, so that the balls, 134 rows of each, are made by many tasks and shuffled once for both sides.
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = checkpointed(fps.groupBy("f", "g").agg(F.min("doc_id").alias("c")).repartition(spread, "c"))
     pairs = checkpointed(links(classes.where("c is not null")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     found = classes.join(ends.join(components(pairs), "c"), "c", "left").select("f", "g", F.coalesce("class_id", "c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +20,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def partitions(spark: SparkSession, factor: int) -> Iterator[None]:
+    """So many times the session's shuffle partitions, for actions inside that multiply their rows before a shuffle; AQE still joins small ones and splits skewed ones."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(int(before) * factor))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
