@@ -26,7 +26,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(list_filt
 g AS (SELECT source, CAST(sum(words) AS DOUBLE) AS n, sqrt(CAST(sum(words) AS DOUBLE)) AS w FROM d GROUP BY source HAVING sum(words) > 0),
 o AS (SELECT *, {MAX_EPOCHS} * n AS cap, row_number() OVER (ORDER BY n / w, source) AS r, sum(n) OVER () AS budget FROM g),
 s AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM o),
-l AS (SELECT min((budget - below) / rest) FILTER (WHERE (budget - below) / rest < cap / w) AS level FROM s),
+l AS (SELECT max((budget - below) / rest) FILTER (WHERE (budget - below) / rest < cap / w) AS level FROM s),
 e AS (SELECT source, round(least(cap, coalesce(level, cap / w) * w) / n, 6) AS epochs FROM s, l)
 SELECT doc_id, source, CAST(words AS BIGINT) AS words, coalesce(epochs, 0) AS epochs, CAST(floor(coalesce(epochs, 0) + (((doc_id % 2147483648) * 2654435761 + {SEED}) % 4294967296) / 4294967296.0) AS BIGINT) AS copies
 FROM d LEFT JOIN e USING (source)"""
@@ -37,7 +37,7 @@ def _words() -> Column:
 
 
 def epochs(groups: DataFrame) -> DataFrame:
-    """(source, epochs) of (source, n, w): words and weights. The first source in order of caps to stay below its cap sets the level.
+    """(source, epochs) of (source, n, w): words and weights. The first source in order of caps to stay below its cap sets the level; the same sum from a later one is lower.
 
     Sources without words or weight are left out; the others may make up for the words of the latter."""
     order = Window.orderBy(F.col("n") / F.col("w"), "source")  # as many rows as sources: sums of all documents
@@ -45,7 +45,7 @@ def epochs(groups: DataFrame) -> DataFrame:
     s = s.withColumn("budget", F.sum("n").over(Window.partitionBy())).where("w > 0")
     s = s.withColumn("below", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("rest", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     level = (F.col("budget") - F.col("below")) / F.col("rest")
-    s = s.withColumn("level", F.min(F.when(level < F.col("cap") / F.col("w"), level)).over(Window.partitionBy()))
+    s = s.withColumn("level", F.max(F.when(level < F.col("cap") / F.col("w"), level)).over(Window.partitionBy()))
     return s.select("source", F.round(F.least("cap", F.coalesce("level", F.col("cap") / F.col("w")) * F.col("w")) / F.col("n"), 6).alias("epochs"))
 
 

@@ -29,6 +29,10 @@ def filled(n, w, most, more=0):
 
 def test_level_is_that_of_clamping_in_rounds(spark):
     n = {"a": 1_000_000, "b": 10_000, "c": 90_000, "d": 400, "f": 12_345}
+    even = {f"s{k}": 1000 + 7 * k for k in range(20)}
+    got = {r.source: r.epochs for r in M.epochs(spark.createDataFrame([(s, x, float(x) ** 0.5) for s, x in even.items()], "source string, n long, w double")).collect()}
+    want = filled(even, {s: x**0.5 for s, x in even.items()}, M.MAX_EPOCHS)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 2e-6 for s in want)
     for w in ({s: x**0.5 for s, x in n.items()}, {"a": 1, "b": 50, "c": 3, "d": 50, "f": 0.5}, dict.fromkeys(n, 1)):
         got = {r.source: r.epochs for r in M.epochs(spark.createDataFrame([(s, n[s], float(w[s])) for s in n] + [("e", 0, 1.0), ("g", 5, 0.0)], "source string, n long, w double")).collect()}
         want = filled(n, w, M.MAX_EPOCHS, 5)
