@@ -170,5 +170,19 @@ def language(documents: DataFrame, labelled: DataFrame | None = None) -> DataFra
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, language string, rate double, accepted int")
 
 
+def accepted(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of documents (doc_id, text, lang, source, n_chars) that language() accepts, with its language as lang."""
+    sent = documents.sparkSession.sparkContext.broadcast(models(documents if labelled is None else labelled))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, _, good = judge(batch.column(1), *sent.value)
+            batch = batch.set_column(2, "lang", pa.array(found, batch.schema.field(2).type))
+            yield batch.filter(pa.array(good))
+
+    docs = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), "source", "n_chars")
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -150,5 +150,15 @@ def near_copies(documents: DataFrame) -> DataFrame:
     return fps.join(found, ["f", "g"]).select("doc_id", "class_id", "links")
 
 
+def unique(documents: DataFrame) -> DataFrame:
+    """The rows of documents (doc_id, text, lang, source, n_chars) whose doc_id is the class_id of near_copies(): one of each class.
+
+    Rows of one doc_id are one document, and one of them stays. Rows of a null doc_id stay, less exact repeats of their text.
+    """
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = near_copies(docs.where("doc_id is not null")).where("doc_id = class_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))

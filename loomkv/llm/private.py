@@ -272,6 +272,30 @@ class Finder:
         return out
 
 
+def _redacted(finder: Finder, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Texts with the kinds in the place of their spans, numbers of spans, and the spans, counted in characters."""
+    out, all_counts, flat = [pa.array([], pa.string())], [np.zeros(0, np.int32)], []
+    for lo, hi, data, offsets in T.slices(texts, SLICE):
+        column = texts.slice(lo, hi - lo).cast(pa.string())
+        take, changed, counts = np.arange(hi - lo), [], np.zeros(hi - lo, np.int32)
+        for r, spans in sorted(finder.rows(data, offsets).items()):
+            at, parts, chars = int(offsets[r]), [], 0
+            for x, y, kind in spans:
+                between, own = data[at:x].tobytes().decode(), data[x:y].tobytes().decode()
+                chars += len(between)
+                flat.append({"first": chars, "last": chars + len(own), "kind": KINDS[kind]})
+                chars += len(own)
+                parts += [between, f"[{KINDS[kind]}]"]
+                at = y
+            take[r], counts[r] = hi - lo + len(changed), len(spans)
+            changed.append("".join(parts) + data[at : offsets[r + 1]].tobytes().decode())
+        out.append(pa.concat_arrays([column, pa.array(changed, pa.string())]).take(pa.array(take)))
+        all_counts.append(counts)
+    counts = np.concatenate(all_counts)
+    kinds = pa.array(flat, pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string())]))
+    return pa.concat_arrays(out), pa.array(counts), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), kinds)
+
+
 def private(documents: DataFrame) -> DataFrame:
     """(doc_id, n_spans, spans, text), one row for every row of documents, whole texts.
 
@@ -285,28 +309,24 @@ def private(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
         for batch in batches:
-            for lo, hi, data, offsets in T.slices(batch.column(1), SLICE):
-                column = batch.column(1).slice(lo, hi - lo).cast(pa.string())
-                found = finder.rows(data, offsets)
-                take, changed, counts, flat = np.arange(hi - lo), [], np.zeros(hi - lo, np.int32), []
-                for r, spans in sorted(found.items()):
-                    at, parts, chars, base = int(offsets[r]), [], 0, int(offsets[r])
-                    for x, y, kind in spans:
-                        between, own = data[at:x].tobytes().decode(), data[x:y].tobytes().decode()
-                        chars += len(between)
-                        flat.append({"first": chars, "last": chars + len(own), "kind": KINDS[kind]})
-                        chars += len(own)
-                        parts += [between, f"[{KINDS[kind]}]"]
-                        at = y
-                    take[r], counts[r] = hi - lo + len(changed), len(spans)
-                    changed.append("".join(parts) + data[at : offsets[r + 1]].tobytes().decode())
-                texts = pa.concat_arrays([column, pa.array(changed, pa.string())]).take(pa.array(take))
-                kinds = pa.array(flat, pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string())]))
-                spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), kinds)
-                yield pa.record_batch({"doc_id": batch.column(0).slice(lo, hi - lo), "n_spans": pa.array(counts), "spans": spans, "text": texts})
+            texts, counts, spans = _redacted(finder, batch.column(1))
+            yield pa.record_batch({"doc_id": batch.column(0), "n_spans": counts, "spans": spans, "text": texts})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_spans int, spans array<struct<first:int,last:int,kind:string>>, text string")
 
 
+def redacted(documents: DataFrame) -> DataFrame:
+    """All rows of documents (doc_id, text, lang, source, n_chars) with the text of private(), and n_chars its length."""
+    sent = documents.sparkSession.sparkContext.broadcast(train())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(sent.value)
+        for batch in batches:
+            yield batch.set_column(1, "text", _redacted(finder, batch.column(1))[0])
+
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.mapInArrow(rows, docs.schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private(spark.read.parquet(f"{sf_dir}/documents.parquet"))
