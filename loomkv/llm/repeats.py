@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkv.llm import text as T
-from loomkv.llm.shared import checkpointed
+from loomkv.llm.shared import written
 
 MIN_WORDS = 50
 ANCHOR = 8
@@ -215,15 +215,18 @@ def repeats(documents: DataFrame, search: Callable[[Shard], tuple[np.ndarray, np
     gives, for every position of its text, whether the gram there stands in two documents, and its first_doc.
     """
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), F.hash("text").alias("t"), "text").where("text is not null")
-    # DISK_ONLY: two later stages read these some 50 bytes a segment; a lost executor's part is computed again.
+    # DISK_ONLY: two stages read these some 50 bytes a segment; a lost executor's part is computed again.
     found = docs.mapInArrow(_located, "doc long, t int, s int, n int, v long, a long, b long").persist(StorageLevel.DISK_ONLY)
-    texts = found.groupBy("a", "b").agg(F.first("v").alias("v"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("doc").alias("doc"), F.first("t").alias("t"), F.first("s").alias("s"), F.first("n").alias("n"))
-    anchors = texts.groupBy("v").agg(F.count("*").alias("texts"), F.min("lo").alias("v_lo"), F.max("hi").alias("v_hi")).where("v_lo < v_hi").select("v", "texts")
-    known = checkpointed(texts.join(anchors, "v"))
-    whole = known.where("texts = 1").select("a", "b", F.lit(0).alias("i"), F.col("n").alias("m"), F.col("lo").alias("first_doc"))
-    wanted = known.where("texts > 1").groupBy("doc", "t").agg(F.collect_list(F.struct("s", "n", "v", "a", "b", "lo", "hi")).alias("segments"))
+    shared = found.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v")
+    alike = written(found.join(shared, "v", "left_semi"))
+    found.unpersist()
+    texts = written(alike.groupBy("a", "b").agg(F.min("v").alias("v"), F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    known = texts.join(texts.groupBy("v").agg(F.count("*").alias("texts")), "v")
+    places = written(alike.drop("v").join(known, ["a", "b"]))
+    many = places.where("texts > 1").drop("texts")
+    wanted = many.dropDuplicates(["a", "b"]).groupBy("doc", "t").agg(F.collect_list(F.struct("s", "n", "v", "a", "b", "lo", "hi")).alias("segments"))
     cut = docs.join(wanted, ["doc", "t"]).select("text", "segments").mapInArrow(_cut, "v long, a long, b long, lo long, hi long, seg binary")
-    cut = checkpointed(cut.dropDuplicates(["a", "b"]))
+    cut = written(cut.dropDuplicates(["a", "b"]))  # repeated rows of one text give its segments again
     sizes = cut.groupBy("v").agg(F.sum(F.length("seg")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     hot = sizes.where(F.col("bytes") > HOT_BYTES)
@@ -237,17 +240,19 @@ def repeats(documents: DataFrame, search: Callable[[Shard], tuple[np.ndarray, np
         return pa.table({"a": table["a"].take(at), "b": table["b"].take(at), "i": i.astype(np.int32), "m": m.astype(np.int32), "first_doc": first})
 
     schema = "a long, b long, i int, m int, first_doc long"
-    common, parts = cut, [whole]
+    common, parts = cut, []
     if not hot.isEmpty():
-        common, many = cut.join(hot, "v", "left_anti"), cut.join(hot, "v", "left_semi")
-        grams = checkpointed(many.mapInArrow(_grams, "a long, b long, i int, lo long, hi long, g long, h long"))
+        common, crowded = cut.join(hot, "v", "left_anti"), cut.join(hot, "v", "left_semi")
+        grams = written(crowded.mapInArrow(_grams, "a long, b long, i int, lo long, hi long, g long, h long"))
         twice = grams.groupBy("g", "h").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
         parts.append(grams.join(twice, ["g", "h"]).select("a", "b", "i", F.lit(1).alias("m"), "first_doc"))
     parts.append(common.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).groupBy("shard").applyInArrow(searched, schema))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    placed = found.select("a", "b", "doc", "t", "s").join(hits, ["a", "b"]).select("doc", "t", (F.col("s") + F.col("i")).alias("x"), (F.col("s") + F.col("i") + F.col("m") - 1 + MIN_WORDS).alias("y"), "first_doc")
+    span = lambda df, i, m: df.select("doc", "t", (F.col("s") + i).alias("x"), (F.col("s") + i + m - 1 + MIN_WORDS).alias("y"), "first_doc")
+    placed = span(places.where("texts = 1").withColumn("first_doc", F.col("lo")), F.lit(0), F.col("n"))
+    placed = placed.unionByName(span(many.select("a", "b", "doc", "t", "s").join(hits, ["a", "b"]), F.col("i"), F.col("m")))
     order = Window.partitionBy("doc", "t").orderBy("x", "y")
     new = F.coalesce(F.col("x") > F.max("y").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     island = F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))

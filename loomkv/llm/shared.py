@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,6 +18,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, which holds less than a checkpoint, and like one stays there for as long as the folder is kept."""
+    df.write.parquet(at := f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
