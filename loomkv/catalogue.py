@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv import sources, storage
-from loomkv.functions import CUTSET, WIDE_SPACE, fnv1a32, hash31, partition_of, tokens
+from loomkv.functions import CUTSET, WIDE_SPACE, fnv1a32, hash31, partition_of, tokens, words
 from loomkv.operators import jobs
 from loomkv.operators.keyed import KeyedFrame
 from loomkv.operators.order import lines_of, numbered
@@ -43,8 +43,7 @@ def _keyed(df: DataFrame, key: str, value: str, order: str | None = None) -> Key
 
 
 def mr_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _read(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    return words(_read(spark, sf_dir, "documents"), "text", "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def mr_wordcount_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +91,8 @@ def rdd_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mr_partition_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in PARTS partitions by the hash of their keys, each sorted by key."""
-    words = mr_wordcount(spark, sf_dir).select("word", "n", partition_of(fnv1a32("word"), PARTS).alias("part"))
-    return words.repartitionById(PARTS, F.col("part")).sortWithinPartitions("part", "word")
+    counts = mr_wordcount(spark, sf_dir).select("word", "n", partition_of(fnv1a32("word"), PARTS).alias("part"))
+    return counts.repartitionById(PARTS, F.col("part")).sortWithinPartitions("part", "word")
 
 
 def text_read_kv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CUTSET = ".,!?;:\"'()[]{}"
@@ -29,7 +29,13 @@ def simple_lower(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of word-count tokens: fields without marks at either end, in lower case, none empty."""
-    return F.filter(F.transform(fields(text), lambda w: simple_lower(F.btrim(w, F.lit(CUTSET)))), lambda w: w != "")
+    return F.filter(F.transform(F.split(simple_lower(text), WIDE_SPACE), lambda w: F.btrim(w, F.lit(CUTSET))), lambda w: w != "")
+
+
+def words(df: DataFrame, text: str, name: str) -> DataFrame:
+    """One row (name) for each token; the same as exploding tokens(), with all but the split in generated code."""
+    raw = df.select(F.explode(F.split(simple_lower(F.col(text)), WIDE_SPACE)).alias("raw"))
+    return raw.select(F.btrim("raw", F.lit(CUTSET)).alias(name)).where(F.col(name) != "")
 
 
 def atoi(text: Column) -> Column:

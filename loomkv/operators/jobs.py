@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv import sources
-from loomkv.functions import atoi, fnv1a32, partition_of, tokens
+from loomkv.functions import atoi, fnv1a32, partition_of, words
 
 
 def map_words(records: DataFrame) -> DataFrame:
-    return records.select(F.explode(tokens(F.col("value"))).alias("key"), F.lit("1").alias("value"))
+    return words(records, "value", "key").select("key", F.lit("1").alias("value"))
 
 
 def map_kv(records: DataFrame) -> DataFrame:
