@@ -97,8 +97,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) ->
         return out
     starts = offsets[:-1].repeat(windows) + T.ragged(np.zeros(len(sizes), np.int64), windows) * WINDOW
     ends = np.minimum(starts + WINDOW, offsets[1:].repeat(windows))
-    lanes = np.full((len(starts), WINDOW), STAY, np.uint8)
-    lanes[np.repeat(np.arange(len(starts)), ends - starts), T.ragged(np.zeros(len(starts), np.int64), ends - starts)] = symbols(data[offsets[0] : offsets[-1]])
+    padded = np.concatenate([symbols(data), np.full(WINDOW, STAY, np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts]
+    short = np.flatnonzero(ends - starts < WINDOW)
+    lanes[short] = np.where(np.arange(WINDOW) < (ends - starts)[short, None], lanes[short], STAY)
     lanes = np.ascontiguousarray(lanes.T)
     rows = np.flatnonzero(windows)
     for k, table in enumerate(tables):
@@ -124,13 +126,14 @@ def judge(column: pa.Array, names: list[str], tables: list[np.ndarray]) -> tuple
     rates, good = [], []
     for lo, hi, data, offsets in T.slices(lowered(column), SLICE):
         counts, sizes = phrases(data, offsets, tables), np.diff(offsets)
-        letters = np.append(0, np.cumsum(SYMBOL[data] > 0))[offsets]
+        letters, full = np.zeros(hi - lo, bool), np.flatnonzero(sizes)
+        if len(full):
+            letters[full] = np.logical_or.reduceat(SYMBOL[data] > 0, offsets[full])
         best = counts.argmin(axis=1)
-        has = np.diff(letters) > 0
-        found += [names[k] if h else None for k, h in zip(best.tolist(), has.tolist())]
+        found += [names[k] if has else None for k, has in zip(best.tolist(), letters.tolist())]
         least = counts[np.arange(hi - lo), best]
-        rates.append(np.where(has, least / np.maximum(sizes, 1), 1.0))
-        good.append(has & (least <= MOST_RATE * sizes + FREE))
+        rates.append(np.where(letters, least / np.maximum(sizes, 1), 1.0))
+        good.append(letters & (least <= MOST_RATE * sizes + FREE))
     return found, np.concatenate([np.zeros(0), *rates]), np.concatenate([np.zeros(0, bool), *good])
 
 

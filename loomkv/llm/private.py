@@ -253,8 +253,7 @@ class Finder:
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """By row, (first byte, one past the last, kind) in the slice."""
         starts, ends, first = T.words(data, offsets)
-        count = np.append(0, np.cumsum(TRIGGER[data]))
-        hot = np.flatnonzero(count[ends] > count[starts])
+        hot = np.unique(np.searchsorted(starts, np.flatnonzero(TRIGGER[data]), side="right") - 1)
         row = np.searchsorted(first, hot, side="right") - 1
         new = np.ones(len(hot), bool)
         new[1:] = (hot[1:] != hot[:-1] + 1) | (row[1:] != row[:-1])
