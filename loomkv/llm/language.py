@@ -7,8 +7,9 @@ a step over all of them is one gather from a transition table.
 
 Letters count in lower case; whatever is no letter counts as a space. A text without any letter (null
 and empty ones too) has no language. A text is rejected if it has none, or if even the best language
-needs over MOST_RATE phrases a byte and FREE phrases more: its phrases then are as short as those of
-random letters. FREE keeps short texts, where a few odd words prove nothing.
+of each window, so that a text in two languages is none to reject, needs over MOST_RATE phrases a byte
+and FREE phrases more: its phrases then are as short as those of random letters. FREE keeps short texts,
+where a few odd words prove nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from loomkv.llm import text as T
 TRAIN_BYTES = 16384
 TRAIN_ROWS = 64
 MOST_LANGUAGES = 256
-WINDOW = 1024
+WINDOW = 256
 SLICE = 1 << 23
 MOST_RATE = 0.33
 FREE = 8
@@ -87,14 +88,15 @@ def automaton(train: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(table.ravel())
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each row for each table; no phrase crosses the end of a window."""
+def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of each row for each table, and for the best table of each of its windows; no phrase crosses the end of a window."""
     sizes = np.diff(offsets)
     windows = -(-sizes // WINDOW)
     first = np.cumsum(windows) - windows
     out = np.zeros((len(sizes), len(tables)), np.int64)
+    fewest = np.zeros(len(sizes), np.int64)
     if not windows.sum():
-        return out
+        return out, fewest
     starts = offsets[:-1].repeat(windows) + T.ragged(np.zeros(len(sizes), np.int64), windows) * WINDOW
     ends = np.minimum(starts + WINDOW, offsets[1:].repeat(windows))
     padded = np.concatenate([symbols(data), np.full(WINDOW, STAY, np.uint8)])
@@ -102,7 +104,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) ->
     short = np.flatnonzero(ends - starts < WINDOW)
     lanes[short] = np.where(np.arange(WINDOW) < (ends - starts)[short, None], lanes[short], STAY)
     lanes = np.ascontiguousarray(lanes.T)
-    rows = np.flatnonzero(windows)
+    rows, least = np.flatnonzero(windows), np.full(len(starts), WINDOW, np.int32)
     for k, table in enumerate(tables):
         state, count = np.zeros(len(starts), np.int32), np.ones(len(starts), np.int32)
         for step in lanes:
@@ -111,7 +113,9 @@ def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) ->
             np.take(table, state, out=state, mode="clip")
             count += state & 1
         out[rows, k] = np.add.reduceat(count, first[rows])
-    return out
+        least = np.minimum(least, count)
+    fewest[rows] = np.add.reduceat(least, first[rows])
+    return out, fewest
 
 
 def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -125,7 +129,7 @@ def judge(column: pa.Array, names: list[str], tables: list[np.ndarray]) -> tuple
     found: list[str | None] = []
     rates, good = [], []
     for lo, hi, data, offsets in T.slices(lowered(column), SLICE):
-        counts, sizes = phrases(data, offsets, tables), np.diff(offsets)
+        (counts, fewest), sizes = phrases(data, offsets, tables), np.diff(offsets)
         letters, full = np.zeros(hi - lo, bool), np.flatnonzero(sizes)
         if len(full):
             letters[full] = np.logical_or.reduceat(SYMBOL[data] > 0, offsets[full])
@@ -133,7 +137,7 @@ def judge(column: pa.Array, names: list[str], tables: list[np.ndarray]) -> tuple
         found += [names[k] if has else None for k, has in zip(best.tolist(), letters.tolist())]
         least = counts[np.arange(hi - lo), best]
         rates.append(np.where(letters, least / np.maximum(sizes, 1), 1.0))
-        good.append(letters & (least <= MOST_RATE * sizes + FREE))
+        good.append(letters & (fewest <= MOST_RATE * sizes + FREE))
     return found, np.concatenate([np.zeros(0), *rates]), np.concatenate([np.zeros(0, bool), *good])
 
 
