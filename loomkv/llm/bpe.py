@@ -14,6 +14,7 @@ one hash would have it, is encoded again by itself and without hashes.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import duckdb
@@ -125,6 +126,7 @@ def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.diff(np.searchsorted(starts, offsets))
 
 
+@functools.cache
 def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
     """The bytes of each token, and the merges (left, right, made): the two tokens that the lower ranks leave of each longer one."""
     with open(path, "rb") as f:
