@@ -24,7 +24,7 @@ from loomkv.llm.near_copies import PLAIN
 from loomkv.llm.shared import checkpointed
 
 TRAIN_ROWS = 8000
-LEAST = 0.4
+LEAST = 0.3
 MIN_DOCS = 4
 LEAST_Z = 4.0
 MOST_WORDS = 50_000
