@@ -131,11 +131,11 @@ def judge(column: pa.Array, names: list[str], tables: list[np.ndarray]) -> tuple
     for lo, hi, data, offsets in T.slices(lowered(column), SLICE):
         (counts, fewest), sizes = phrases(data, offsets, tables), np.diff(offsets)
         letters, full = np.zeros(hi - lo, bool), np.flatnonzero(sizes)
-        if len(full):
+        if len(full) and names:
             letters[full] = np.logical_or.reduceat(SYMBOL[data] > 0, offsets[full])
-        best = counts.argmin(axis=1)
+        best = counts.argmin(axis=1) if names else np.zeros(hi - lo, np.int64)
         found += [names[k] if has else None for k, has in zip(best.tolist(), letters.tolist())]
-        least = counts[np.arange(hi - lo), best]
+        least = counts[np.arange(hi - lo), best] if names else sizes
         rates.append(np.where(letters, least / np.maximum(sizes, 1), 1.0))
         good.append(letters & (fewest <= MOST_RATE * sizes + FREE))
     return found, np.concatenate([np.zeros(0), *rates]), np.concatenate([np.zeros(0, bool), *good])
@@ -154,8 +154,6 @@ def models(labelled: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     for lang, text in zip(texts["lang"].to_pylist(), lowered(texts["text"]).to_pylist() if texts.num_rows else []):
         by[lang] = by.get(lang, b"") + text.encode() + b" "
     usable = {k: s for k, v in sorted(by.items()) if (s := symbols(np.frombuffer(v[:TRAIN_BYTES], np.uint8))).any()}
-    if not usable:
-        raise ValueError("no labelled text to build automata from")
     return list(usable), [automaton(s) for s in usable.values()]
 
 
@@ -163,8 +161,9 @@ def language(documents: DataFrame, labelled: DataFrame | None = None) -> DataFra
     """(doc_id, language, rate, accepted), one row for every row of documents, whole texts.
 
     labelled (doc_id, lang, text) defaults to documents; rows of it without lang, doc_id or letters teach
-    nothing, and ValueError is raised if none are left. A null or empty text and one without letters get
-    a null language, rate 1 and accepted 0. Other columns are neither read nor returned.
+    nothing. A null or empty text and one without letters get a null language, rate 1 and accepted 0, and
+    so do all texts if nothing is taught. A null doc_id stays null and repeated rows stay. Over
+    MOST_LANGUAGES labels raise ValueError. Other columns are neither read nor returned.
     """
     names, tables = models(documents if labelled is None else labelled)
     sent = documents.sparkSession.sparkContext.broadcast((names, tables))

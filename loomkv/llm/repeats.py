@@ -31,7 +31,7 @@ MIN_WORDS = 50
 ANCHOR = 8
 MOST_GRAMS = 128
 SHARD_BYTES = 6 << 20
-HOT_BYTES = 32 << 20
+HOT_BYTES = 16 << 20
 SLICE = 1 << 22
 NOBODY = -(1 << 63)
 C = T.U64(0x9E3779B97F4A7C15)

@@ -99,12 +99,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column(0).take(at), "toxic": batch.column(1).take(at), "h": pa.array(hashes.view(np.int64))})
 
 
-def trained(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+def trained(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray, np.ndarray] | None:
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
     chosen = checkpointed(chosen)  # TRAIN_ROWS small rows at most: the bound of both broadcasts
     y = chosen.join(documents.select(F.col("doc_id").cast("long").alias("id")).join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "left_semi").orderBy("id").toPandas()
     if not len(y):
-        raise ValueError("no labelled document to train on")
+        return None
     n, share = len(y), float(y["toxic"].mean())
     words = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, h long").distinct()
     words = checkpointed(words)
@@ -118,8 +118,8 @@ def trained(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float,
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, toxic), one row for every row of documents, whole texts.
 
-    labels is (doc_id, toxic); of several labels of one doc_id the largest counts, nulls do not, and
-    ValueError is raised if no document has one. Rows of one doc_id train as one text. A null text scores as
+    labels is (doc_id, toxic); of several labels of one doc_id the largest counts, nulls do not. If no
+    document has one, score and toxic are null. Rows of one doc_id train as one text. A null text scores as
     the empty one, a null doc_id stays null, repeated rows stay. toxic is 1 from a score of LEAST on. Other columns are
     neither read nor returned.
     """
@@ -127,6 +127,10 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if sent.value is None:
+                nothing = pa.nulls(batch.num_rows)
+                yield pa.record_batch({"doc_id": batch.column(0), "score": nothing.cast(pa.float64()), "toxic": nothing.cast(pa.int32())})
+                continue
             p = score(pc.fill_null(batch.column(1), ""), sent.value)
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(np.round(p, 6)), "toxic": pa.array((p >= LEAST).astype(np.int32))})
 

@@ -40,7 +40,7 @@ def test_held_out_accuracy():
     assert np.mean([a == b for a, b in zip(found, lang[300:])]) > 0.98 and good.all()
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").withColumn("language", L.F.lit("clash"))
     rng = np.random.default_rng(1)
     noise = "".join(chr(x) for x in rng.integers(97, 123, 3000))
@@ -53,5 +53,9 @@ def test_edges(spark):
     assert [(by[10**6 + i].language is None, by[10**6 + i].accepted) for i in range(6)] == [(True, 0), (True, 0), (True, 0), (False, 0), (False, 1), (False, 1)]
     assert by[10**6 + 4].language == "de" and by[None].language == "en" and sum(r.doc_id == 0 for r in got) == 2
     assert L.language(docs.limit(0), docs).count() == 0
+    assert L.language(docs.limit(0)).count() == 0 and L.accepted(docs.limit(0).selectExpr("doc_id", "text", "lang", "lang source", "1 n_chars")).count() == 0
+    untaught = L.language(docs.limit(5), docs.limit(0)).collect()
+    assert [(r.language, r.rate, r.accepted) for r in untaught] == [(None, 1.0, 0)] * 5
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
     with pytest.raises(ValueError):
-        L.language(docs.limit(0))
+        L.language(docs)
