@@ -135,7 +135,7 @@ class Shard:
         """The suffix array, by prefix doubling over the suffixes that are not yet told apart."""
         size = len(self.text)
         order = np.argsort(self.text, kind="stable")
-        rank, active, step = _ranks(self.text, order, None, None), order, 1
+        rank, active, step = _first_ranks(self.text, order), order, 1
         sa = order.copy()
         while True:
             count = np.bincount(rank, minlength=size)
@@ -146,23 +146,24 @@ class Shard:
             after = np.append(rank, 0)[np.minimum(active + step, size)]
             active = active[np.lexsort((after, rank[active]))]
             after = np.append(rank, 0)[np.minimum(active + step, size)]
-            rank[active] = _ranks(after, None, rank[active], None)
+            rank[active] = _next_ranks(rank[active], after)
             step *= 2
 
 
-def _ranks(key: np.ndarray, order: np.ndarray | None, group: np.ndarray | None, _: None) -> np.ndarray:
-    """How many suffixes are certainly smaller: of all by key in order, or of those already sorted by (group, key)."""
-    if group is None:
-        sorted_key = key[order]
-        head = np.append(True, sorted_key[1:] != sorted_key[:-1])
-        rank = np.empty(len(key), I64)
-        rank[order] = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-        return rank
+def _first_ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many suffixes have a smaller key; order sorts them by it."""
+    head = np.append(True, key[order][1:] != key[order][:-1])
+    rank = np.empty(len(key), I64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+    return rank
+
+
+def _next_ranks(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The ranks that group stands for, told apart further by key; both in sorted order."""
     at = np.arange(len(key))
     new = np.append(True, group[1:] != group[:-1])
     head = new | np.append(True, key[1:] != key[:-1])
-    base = np.maximum.accumulate(np.where(new, at, 0))
-    return group + np.maximum.accumulate(np.where(head, at, 0)) - base
+    return group + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(new, at, 0))
 
 
 def bounded_prefixes(last: np.ndarray, most: int) -> np.ndarray:

@@ -120,7 +120,7 @@ def _read_code(bits: Bits, alphabet: int) -> tuple[list[int], int]:
 
 
 def _blocks(size: int, bits: int) -> int:
-    return -(-size >> bits) if size % (1 << bits) == 0 else (size >> bits) + 1
+    return (size + (1 << bits) - 1) >> bits
 
 
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
