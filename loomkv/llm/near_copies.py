@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import text as T
-from loomkv.llm.shared import checkpointed, partitions
+from loomkv.llm.shared import checkpointed, deleted, fresh, partitions, written
 
 RADIUS = 8
 MOST = 18
@@ -115,14 +115,21 @@ def links(classes: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(c, class_id) of every number in the pairs (a, b): the smallest number that it is joined to by a chain of pairs.
 
-    Labels fall to the smallest of the neighbours' and then to their label's label, until none changes."""
+    Labels fall to the smallest of the neighbours' and then to their label's label, and what was a number's label falls with
+    it, until none changes; without the last, rounds would be as many as a long chain in no order has links."""
+    spark, at = pairs.sparkSession, fresh(pairs.sparkSession)
     both = pairs.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("d")))
-    labels = checkpointed(both.groupBy("c").agg(F.least("c", F.min("d")).alias("l")))
+    labels = written(both.groupBy("c").agg(F.least("c", F.min("d")).alias("l")), at)
     while True:
         near = both.join(labels.select(F.col("c").alias("d"), "l"), "d").groupBy("c").agg(F.min("l").alias("m"))
         fell = labels.join(near, "c").select("c", F.least("l", "m").alias("m"), F.col("l").alias("old"))
         up = labels.select(F.col("c").alias("m"), F.col("l").alias("up"))
-        jumped = checkpointed(fell.join(up, "m").select("c", F.least("m", "up").alias("l"), "old"))
+        own = F.struct("c", F.least("m", "up").alias("l"), "old")
+        hook = F.struct(F.col("old").alias("c"), F.least("m", "up").alias("l"), F.lit(None).cast("long").alias("old"))
+        jumped = fell.join(up, "m").select(F.explode(F.array(own, hook)).alias("x")).groupBy("x.c").agg(F.min("x.l").alias("l"), F.max("x.old").alias("old"))
+        before, at = at, fresh(spark)
+        jumped = written(jumped, at)
+        deleted(spark, before)
         labels = jumped.select("c", "l")
         if jumped.where("l <> old").isEmpty():
             return labels.withColumnRenamed("l", "class_id")

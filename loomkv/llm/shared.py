@@ -18,12 +18,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, which holds less than a checkpoint, and like one stays there for as long as the folder is kept."""
-    df.write.parquet(at := f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, at: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, which holds less than a checkpoint, and like one stays there for as long as the folder is kept.
+
+    Its statistics are those of the files; a checkpoint keeps the estimate of its plan, and in a loop of joins that number's digits double each time."""
+    df.write.parquet(at := at or fresh(df.sparkSession))
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def deleted(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -55,6 +55,23 @@ def test_components(spark, edges, want):
     assert {r.c: r.class_id for r in got.collect()} == want
 
 
+def test_components_of_a_long_chain_in_no_order(spark, monkeypatch):
+    """Few rounds, and the plan's estimate of bytes, whose digits once doubled in each, is that of a table."""
+    frame, rounds = type(spark.range(1)), []
+    ended = frame.isEmpty
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) <= 16
+        return ended(df)
+
+    monkeypatch.setattr(frame, "isEmpty", counted)
+    order = np.random.default_rng(3).permutation(500).tolist()
+    got = N.components(spark.createDataFrame([*zip(order, order[1:]), (1000, 1001)], "a long, b long"))
+    assert int(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 30
+    assert {r.c: r.class_id for r in got.collect()} == dict.fromkeys(range(500), 0) | {1000: 1000, 1001: 1000}
+
+
 def test_edges(spark):
     assert N.near_copies(spark.createDataFrame([], "doc_id long, text string, links string")).count() == 0
     got = N.near_copies(spark.createDataFrame([(None, "x y", 1, "z"), (4, "x y", 1, "z"), (4, "x y", 1, "z"), (None, "q", 1, "z")], "doc_id long, text string, links long, class_id string")).collect()
