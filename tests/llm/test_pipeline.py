@@ -59,6 +59,27 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, tuple(r.tokens), r.same) for r in kept[4]) == Counter((r.doc_id, tuple(peer.encode_ordinary(r.text)), 1) for r in kept[3])
 
 
+def test_near_copies_of_texts_that_drift(spark, monkeypatch):
+    """Each text is the one before it but for one word, in no order of ids: few rounds of joins, and one of each class stays."""
+    frame, rounds = type(spark.range(1)), []
+    ended = frame.isEmpty
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) <= 14
+        return ended(df)
+
+    monkeypatch.setattr(frame, "isEmpty", counted)
+    rng = np.random.default_rng(2)
+    words, rows = [f"w{x}" for x in rng.integers(0, 20000, 60)], []
+    for i in rng.permutation(1000).tolist():
+        words[rng.integers(60)] = f"w{rng.integers(0, 20000)}"
+        rows.append((i, " ".join(words), "en", "src1", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in C.without_near_copies(spark, docs, DIR).collect()]
+    assert sorted(kept) == sorted(one_of_each_class(docs.collect())) and len(kept) < 10
+
+
 def test_run_is_the_stages_in_turn(spark):
     got = C.run(spark, DIR).collect()
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
