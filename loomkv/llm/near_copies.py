@@ -30,6 +30,9 @@ CHUNK = 1 << 15
 #: Times the usual number of partitions for the balls, as each fingerprint becomes 134 rows.
 GROWTH = 8
 SLICE = 1 << 22
+#: Pairs that a task of _stars() holds at once; and those that one task takes to its classes. Past these, stars come in parts and classes by rounds of joins.
+HELD = 1 << 20
+ONE_TASK = 1 << 21
 
 
 def _signs(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -112,9 +115,65 @@ def links(classes: DataFrame) -> DataFrame:
     return found.join(ca, ["fa", "ga"]).join(cb, ["fb", "gb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in the pairs, ascending, and for each the position of the smallest one that it is joined to by a chain of pairs."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(i):
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+        while ((up := label[label]) != label).any():
+            label = up
+        i, j = label[i], label[j]
+        i, j = i[i != j], j[i != j]
+    return nodes, label
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(a), CHUNK):
+        yield pa.record_batch({names[0]: a[k : k + CHUNK], names[1]: b[k : k + CHUNK]})
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) with the same classes as those given, and no more of them: each number with the least it is joined to here. One joined only to itself stays."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def least() -> tuple[np.ndarray, np.ndarray]:
+        nodes, label = _least(*(np.concatenate(x) for x in zip(*held)))
+        keep = (label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes)) == 1)
+        return nodes[label[keep]], nodes[keep]
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= HELD:
+            held = [least()]
+            if len(held[0][0]) >= HELD // 2:
+                yield from _pairs(*held.pop(), ("a", "b"))
+                held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    yield from _pairs(*least(), ("a", "b"))
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if held:
+        nodes, label = _least(*(np.concatenate(x) for x in zip(*held)))
+        yield from _pairs(nodes, nodes[label], ("c", "class_id"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(c, class_id) of every number in the pairs (a, b): the smallest number that it is joined to by a chain of pairs.
 
+    Each task first makes stars of its pairs. Up to ONE_TASK of those go to one task, as each round of joins costs the
+    driver a dozen jobs; more are joined in rounds."""
+    spark, at = pairs.sparkSession, fresh(pairs.sparkSession)
+    stars = written(pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, "a long, b long"), at)
+    found = written(stars.coalesce(1).mapInArrow(_classes, "c long, class_id long")) if stars.count() <= ONE_TASK else _by_rounds(stars)
+    deleted(spark, at)
+    return found
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
+    """components() of any number of pairs.
+
     Labels fall to the smallest of the neighbours' and then to their label's label, and what was a number's label falls with
     it, until none changes; without the last, rounds would be as many as a long chain in no order has links."""
     spark, at = pairs.sparkSession, fresh(pairs.sparkSession)

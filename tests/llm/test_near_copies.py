@@ -72,6 +72,37 @@ def test_components_of_a_long_chain_in_no_order(spark, monkeypatch):
     assert {r.c: r.class_id for r in got.collect()} == dict.fromkeys(range(500), 0) | {1000: 1000, 1001: 1000}
 
 
+def some_pairs():
+    """Random pairs, a chain in no order and numbers paired only with themselves; and their classes, one pair at a time."""
+    rng = np.random.default_rng(4)
+    order = (10**12 + rng.permutation(60)).tolist()
+    pairs = [tuple(sorted(x)) for x in rng.integers(-200, 200, (150, 2)).tolist()] + [*zip(order, order[1:])] + [(999, 999), (-999, -999)]
+    label = {x: x for pair in pairs for x in pair}
+    for a, b in pairs:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {x: new if y == old else y for x, y in label.items()}
+    return pairs, label
+
+
+@pytest.mark.parametrize("one_task", [1 << 21, 0])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(N, "ONE_TASK", one_task)
+    pairs, label = some_pairs()
+    got = [tuple(r) for r in N.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()]
+    assert len(got) == len(label) and dict(got) == label
+
+
+@pytest.mark.parametrize("held", [1, 40, 150, 1 << 20])
+def test_stars_keep_the_classes(monkeypatch, held):
+    """Also where a task gives its stars in parts."""
+    monkeypatch.setattr(N, "HELD", held)
+    pairs, label = some_pairs()
+    batches = [N.pa.record_batch([N.pa.array(x) for x in zip(*pairs[k : k + 7])], ["a", "b"]) for k in range(0, len(pairs), 7)]
+    stars = list(N._stars(iter(batches)))
+    got = [row for x in N._classes(iter(stars)) for row in zip(x["c"].to_pylist(), x["class_id"].to_pylist())]
+    assert len(got) == len(label) and dict(got) == label and sum(map(len, stars)) <= len(pairs)
+
+
 def test_edges(spark):
     assert N.near_copies(spark.createDataFrame([], "doc_id long, text string, links string")).count() == 0
     got = N.near_copies(spark.createDataFrame([(None, "x y", 1, "z"), (4, "x y", 1, "z"), (4, "x y", 1, "z"), (None, "q", 1, "z")], "doc_id long, text string, links long, class_id string")).collect()

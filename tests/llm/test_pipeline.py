@@ -80,6 +80,23 @@ def test_near_copies_of_texts_that_drift(spark, monkeypatch):
     assert sorted(kept) == sorted(one_of_each_class(docs.collect())) and len(kept) < 10
 
 
+def test_second_stage_gives_the_driver_few_jobs_however_long_the_chain(spark):
+    """A text drifts through 600 others: what the driver keeps of jobs does not grow with the rounds that such a chain takes."""
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{x}" for x in rng.integers(0, 20000, 60)], []
+    for i in rng.permutation(600).tolist():
+        words[rng.integers(60)] = f"w{rng.integers(0, 20000)}"
+        rows.append((i, " ".join(words), "en", "src1", 1))
+    docs, sc = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.sparkContext
+    sc.setJobGroup("second stage", "")
+    try:
+        kept = C.without_near_copies(spark, docs, DIR).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id for r in kept} == one_of_each_class(docs.collect()) and len(kept) < 10
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("second stage")) <= 40
+
+
 def test_run_is_the_stages_in_turn(spark):
     got = C.run(spark, DIR).collect()
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
