@@ -108,7 +108,8 @@ def links(classes: DataFrame) -> DataFrame:
     key = F.col("key")
     first = F.when(df <= RADIUS, _canonical(x, F.col("fa"), key, 0)).otherwise(_canonical(y, F.col("ga"), key, 1))
     less = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("ga") < F.col("gb")))
-    found = a.join(b, "key").where((df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & less & first).drop("key")
+    # Merged whatever the estimate: Spark takes an explode's rows for as many as before, and would send all balls through the driver.
+    found = a.hint("merge").join(b, "key").where((df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & less & first).drop("key")
     with partitions(classes.sparkSession, GROWTH):
         found = checkpointed(found)
     ca, cb = (classes.select(F.col("c").alias(f"c{z}"), F.col("f").alias(f"f{z}"), F.col("g").alias(f"g{z}")) for z in "ab")

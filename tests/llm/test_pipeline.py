@@ -97,6 +97,23 @@ def test_second_stage_gives_the_driver_few_jobs_however_long_the_chain(spark):
     assert 0 < len(sc.statusTracker().getJobIdsForGroup("second stage")) <= 40
 
 
+def test_second_stage_does_not_send_the_balls_through_the_driver(spark, monkeypatch):
+    """By the plans that ran: no explode is broadcast, though Spark's estimate of its bytes is far below the threshold."""
+    plans, cut = [], near_copies.checkpointed
+
+    def kept(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(near_copies, "checkpointed", kept)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = C.without_near_copies(spark, docs, DIR).collect()
+    assert {r.doc_id for r in got} == one_of_each_class(docs.collect())
+    balls = [p for p in plans if "explode" in p]
+    assert len(balls) == 1 and "BroadcastExchange" not in balls[0] and "SortMergeJoin" in balls[0]
+
+
 def test_run_is_the_stages_in_turn(spark):
     got = C.run(spark, DIR).collect()
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
