@@ -6,6 +6,9 @@ case. Texts are linked if one of the halves differs in at most RADIUS bits and b
 MOST. Halves within RADIUS = 8 bits differ by at most two in one of three blocks; there the balls of
 radius one around the two meet in a middle, so every such pair is found by joining the 67 keys of each.
 Colliding pairs are verified against the whole fingerprints. No bucket is capped.
+
+Every join here has a merge hint: its sides grow with the input, and Spark's estimates of them are of explodes that
+add no rows and of columns compressed in the cache or in Parquet, so that a broadcast could be more than the driver holds.
 """
 
 from __future__ import annotations
@@ -108,12 +111,11 @@ def links(classes: DataFrame) -> DataFrame:
     key = F.col("key")
     first = F.when(df <= RADIUS, _canonical(x, F.col("fa"), key, 0)).otherwise(_canonical(y, F.col("ga"), key, 1))
     less = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("ga") < F.col("gb")))
-    # Merged whatever the estimate: Spark takes an explode's rows for as many as before, and would send all balls through the driver.
     found = a.hint("merge").join(b, "key").where((df + dg <= MOST) & (F.least(df, dg) <= RADIUS) & less & first).drop("key")
     with partitions(classes.sparkSession, GROWTH):
         found = checkpointed(found)
     ca, cb = (classes.select(F.col("c").alias(f"c{z}"), F.col("f").alias(f"f{z}"), F.col("g").alias(f"g{z}")) for z in "ab")
-    return found.join(ca, ["fa", "ga"]).join(cb, ["fb", "gb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    return found.join(ca.hint("merge"), ["fa", "ga"]).join(cb.hint("merge"), ["fb", "gb"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
 def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +183,12 @@ def _by_rounds(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("d")))
     labels = written(both.groupBy("c").agg(F.least("c", F.min("d")).alias("l")), at)
     while True:
-        near = both.join(labels.select(F.col("c").alias("d"), "l"), "d").groupBy("c").agg(F.min("l").alias("m"))
-        fell = labels.join(near, "c").select("c", F.least("l", "m").alias("m"), F.col("l").alias("old"))
+        near = both.hint("merge").join(labels.select(F.col("c").alias("d"), "l"), "d").groupBy("c").agg(F.min("l").alias("m"))
+        fell = labels.hint("merge").join(near, "c").select("c", F.least("l", "m").alias("m"), F.col("l").alias("old"))
         up = labels.select(F.col("c").alias("m"), F.col("l").alias("up"))
         own = F.struct("c", F.least("m", "up").alias("l"), "old")
         hook = F.struct(F.col("old").alias("c"), F.least("m", "up").alias("l"), F.lit(None).cast("long").alias("old"))
-        jumped = fell.join(up, "m").select(F.explode(F.array(own, hook)).alias("x")).groupBy("x.c").agg(F.min("x.l").alias("l"), F.max("x.old").alias("old"))
+        jumped = fell.hint("merge").join(up, "m").select(F.explode(F.array(own, hook)).alias("x")).groupBy("x.c").agg(F.min("x.l").alias("l"), F.max("x.old").alias("old"))
         before, at = at, fresh(spark)
         jumped = written(jumped, at)
         deleted(spark, before)
@@ -213,8 +215,8 @@ def near_copies(documents: DataFrame) -> DataFrame:
     classes = checkpointed(fps.groupBy("f", "g").agg(F.min("doc_id").alias("c")).repartition(spread, "c"))
     pairs = checkpointed(links(classes.where("c is not null")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
-    found = classes.join(ends.join(components(pairs), "c"), "c", "left").select("f", "g", F.coalesce("class_id", "c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return fps.join(found, ["f", "g"]).select("doc_id", "class_id", "links")
+    found = classes.hint("merge").join(ends.hint("merge").join(components(pairs), "c"), "c", "left").select("f", "g", F.coalesce("class_id", "c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return fps.hint("merge").join(found, ["f", "g"]).select("doc_id", "class_id", "links")
 
 
 def unique(documents: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def unique(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
     kept = near_copies(docs.where("doc_id is not null")).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return docs.hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,34 @@ def test_components_of_a_long_chain_in_no_order(spark, monkeypatch):
     assert {r.c: r.class_id for r in got.collect()} == dict.fromkeys(range(500), 0) | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("one_task", [1 << 21, 0])
+def test_no_join_goes_through_the_driver(spark, monkeypatch, one_task):
+    """By the plans of all tables that are made: none is broadcast, though all are far below the threshold here."""
+    plans = []
+
+    def seen(made):
+        def f(df, *at):
+            out = made(df, *at)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        return f
+
+    monkeypatch.setattr(N, "ONE_TASK", one_task)
+    monkeypatch.setattr(N, "checkpointed", seen(N.checkpointed))
+    monkeypatch.setattr(N, "written", seen(N.written))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    got = N.near_copies(docs)
+    rows = [tuple(r) for r in got.collect()]
+    at = docs.toArrow()
+    want = brute(at["doc_id"].to_pylist(), N.fingerprints(at["text"]))
+    assert len(rows) == len(want) and {a: (b, c) for a, b, c in rows} == want
+    kept = N.unique(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(a for a, (b, _) in want.items() if a == b)
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (got, kept)]
+    assert len(plans) >= 12 and sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def some_pairs():
     """Random pairs, a chain in no order and numbers paired only with themselves; and their classes, one pair at a time."""
     rng = np.random.default_rng(4)
